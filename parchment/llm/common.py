@@ -10,6 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cluster import ship
+
+__all__ = ["WordHash", "crc_mod", "dropped", "grams", "mixed", "odd", "shared_dir", "ship", "table", "written"]
+
 _OWN_DIR: list[str] = []
 #: While a table is written: shuffle files go as soon as the query ends, Python workers get small batches.
 _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
@@ -31,6 +35,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     The shuffle files of the writing query are removed as soon as it ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/parchment/{name}-{uuid.uuid4().hex}"
     before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
     for k, v in _WHILE_WRITING.items():
@@ -54,6 +59,7 @@ def dropped(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -177,6 +177,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     the empty set and no link. A row whose id is null is linked with nothing: component_id null, kept true.
     Rows that repeat an id are one node. Other columns are ignored; an empty table gives an empty result.
     """
+    C.ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     t = C.written(docs.mapInArrow(_sketches(k, bands, rows), "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"), "sketch")
     known = t.where("doc_id is not null and digest is not null")
