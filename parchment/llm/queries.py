@@ -6,8 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .bloom_lm import scored
+from .common import crc_mod, table
 from .minhash_dedup import near_duplicates
+from .quality_qda import classified
+
+
+def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from labels of those whose crc32 mod 5 is not 0."""
+    return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) == 0)
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +22,13 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents, learned from those whose crc32 mod 7 is not 2."""
+    return scored(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_minhash_dedup,)}
+    return {f.__name__: f for f in (op2_quality_qda, op4_minhash_dedup, op9_bloom_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
