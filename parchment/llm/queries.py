@@ -10,6 +10,7 @@ from .bloom_lm import scored
 from .common import crc_mod, table
 from .minhash_dedup import near_duplicates
 from .quality_qda import classified
+from .sentence_pieces import round_trips
 
 
 def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +28,13 @@ def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
 
 
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded to pieces and decoded again, as digests."""
+    return round_trips(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_qda, op4_minhash_dedup, op9_bloom_lm)}
+    return {f.__name__: f for f in (op2_quality_qda, op4_minhash_dedup, op9_bloom_lm, op10_sentence_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
