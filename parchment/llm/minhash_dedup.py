@@ -5,9 +5,10 @@ links; signatures verify candidates, full shingle sets confirm them; connected c
 alternating large-star and small-star steps.
 
 Scale: documents with equal shingle sets are one class before any candidate is made, so groups of
-exact copies cost one row. In each band bucket only links to the bucket's smallest class are tried
-first; what stays apart from it is compared in blocks, and only pairs whose signatures agree leave
-the block. No group is gathered in one task, nothing but row counts reaches the driver.
+exact copies cost one row. Each class first tries one link, to the smallest head (smallest class) of its
+buckets, then the other heads from which it is still apart; what a bucket then holds beside its head's
+component is compared in blocks, and only pairs whose signatures agree leave the block. Pairs inside one
+component are never looked at, so a large group of near copies costs about one link a member. No group is gathered in one task, nothing but row counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -169,6 +170,22 @@ def _confirmed(docs: DataFrame, heads: DataFrame, pairs: DataFrame, k: int, perc
     return links
 
 
+def _placed(members: DataFrame, place: DataFrame) -> DataFrame:
+    """The members of buckets with their components so far."""
+    return C.written(members.join(place.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
+
+
+def _merged(place: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links: only the components that the links join are worked on."""
+    of = lambda end: place.select(F.col("node").alias(end), F.col("component").alias(f"{end}_is"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    edges = C.written(ends.select(F.coalesce("a_is", "a").alias("a"), F.coalesce("b_is", "b").alias("b")), "joined")
+    joined = connected_components(edges)
+    moved = joined.select(F.col("node").alias("component"), F.col("component").alias("new"))
+    old = place.join(moved, "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+    return C.written(old.unionByName(joined.join(place, "node", "left_anti")), "merged")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
@@ -187,24 +204,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     members = heads.select("rep", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("key", "hub")
     members = C.written(members.join(buckets, "key"), "members")
-    # first the links to each bucket's smallest class
-    stars = members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    close = C.written(_with(stars, sigs, "rep", "sig").mapInArrow(_agree(AGREE), "a long, b long"), "close")
+    # first one link a class: to the smallest class that heads one of its buckets
+    stars = members.where("rep != hub").groupBy("rep").agg(F.min("hub").alias("a")).select("a", F.col("rep").alias("b"))
     # rows that repeat an id with different texts tie their classes together
     ids = known.join(classes, "digest").select("doc_id", "rep").distinct()
-    ties = ids.join(ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
-    links = C.written(_confirmed(docs, heads, close, k, percent).unionByName(ties), "links")
-    # then what a bucket holds beside its hub's component is compared in blocks
-    place = connected_components(links).withColumnRenamed("node", "rep")
-    placed = C.written(members.join(place, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
+    ties = ids.join(ids.groupBy("doc_id").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("doc_id", "head"), "doc_id").select(F.col("head").alias("a"), F.col("rep").alias("b"))
+    link = lambda pairs: _confirmed(docs, heads, C.written(_with(pairs, sigs, "rep", "sig").mapInArrow(_agree(AGREE), "a long, b long"), "close"), k, percent)
+    place = connected_components(C.written(link(stars).unionByName(ties), "links"))
+    placed = _placed(members, place)
+    # then the other heads of its buckets, where they are still apart
+    heads_of = placed.where("rep = hub").select("key", "hub", F.col("component").alias("main"))
+    apart = placed.where("rep != hub").join(heads_of, ["key", "hub"]).where("component != main")
+    tried = C.written(apart.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "apart")
+    place = _merged(place, link(tried))
+    placed = _placed(members, place)
+    # then what a bucket holds beside its head's component is compared in blocks
     hubs = placed.where("rep = hub").select("key", F.col("component").alias("main")).distinct()
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     rows_ = placed.join(open_keys.join(hubs, "key"), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(sigs, "rep")
     rows_ = C.written(rows_.select("key", "block", "main", "rep", "component", "sig"), "blocks")
     packed = lambda d, to: d.groupBy("key", "block").agg(F.collect_list(F.struct("rep", "component", "sig")).alias(to)).drop("block")
     pairs = packed(rows_.where("component != main"), "u").join(packed(rows_, "m"), "key").select("u", "m")
-    rest = C.written(pairs.mapInArrow(_block_pairs(AGREE), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    found = connected_components(links.unionByName(_confirmed(docs, heads, rest, k, percent)))
+    rest = pairs.mapInArrow(_block_pairs(AGREE), "a long, b long").distinct()
+    rest = C.written(rest.join(stars, ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti"), "rest")
+    found = _merged(place, _confirmed(docs, heads, rest, k, percent))
     out = t.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
