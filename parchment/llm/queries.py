@@ -12,6 +12,7 @@ from .minhash_dedup import near_duplicates
 from .quality_qda import classified
 from .sentence_pieces import round_trips
 from .suffix_dedup import deduplicated
+from .tiling_decontamination import leaks
 
 
 def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,11 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op5_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and the benchmark items whose words its passages cover by half or more."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that remain when every later occurrence of a 20-word window is removed."""
     return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -40,7 +46,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_qda, op4_minhash_dedup, op8_suffix_dedup, op9_bloom_lm, op10_sentence_pieces)}
+    return {f.__name__: f for f in (op2_quality_qda, op4_minhash_dedup, op5_tiling_decontamination, op8_suffix_dedup, op9_bloom_lm, op10_sentence_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
