@@ -31,8 +31,8 @@ MULT = np.uint64(0x9E3779B97F4A7C55)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    """Lower-cased words without the punctuation around them, so that a changed comma hides nothing."""
-    return [x for w in (text or b"").lower().split() if (x := w.strip(PUNCTUATION))]
+    """Case-folded words without the punctuation around them, so that shouting or a changed comma hides nothing."""
+    return [x for w in (text or b"").decode("utf-8", "replace").casefold().encode().split() if (x := w.strip(PUNCTUATION))]
 
 
 def runs(w: np.ndarray, k: int, prefix: np.ndarray, powers: np.ndarray) -> np.ndarray:
