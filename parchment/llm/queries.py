@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bloom_lm import scored
 from .common import crc_mod, table
 from .minhash_dedup import near_duplicates
+from .pii_rules import report
 from .quality_qda import classified
 from .sentence_pieces import round_trips
 from .suffix_dedup import deduplicated
@@ -30,6 +31,11 @@ def op5_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_pii_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every whole text of documents."""
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that remain when every later occurrence of a 20-word window is removed."""
     return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -46,7 +52,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_qda, op4_minhash_dedup, op5_tiling_decontamination, op8_suffix_dedup, op9_bloom_lm, op10_sentence_pieces)}
+    return {f.__name__: f for f in (op2_quality_qda, op4_minhash_dedup, op5_tiling_decontamination, op7_pii_rules, op8_suffix_dedup, op9_bloom_lm, op10_sentence_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
