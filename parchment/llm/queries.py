@@ -14,6 +14,7 @@ from .quality_qda import classified
 from .sentence_pieces import round_trips
 from .suffix_dedup import deduplicated
 from .tiling_decontamination import leaks
+from .warc_normaliser import round_trip
 
 
 def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,11 @@ def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) == 0)
 
 
+def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives, normalised, and read back through the indexes."""
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of documents over distinct 4-word shingles at 80 percent."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
@@ -52,7 +58,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_qda, op4_minhash_dedup, op5_tiling_decontamination, op7_pii_rules, op8_suffix_dedup, op9_bloom_lm, op10_sentence_pieces)}
+    return {f.__name__: f for f in (op2_quality_qda, op3_warc_normaliser, op4_minhash_dedup, op5_tiling_decontamination, op7_pii_rules, op8_suffix_dedup, op9_bloom_lm, op10_sentence_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
