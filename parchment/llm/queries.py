@@ -5,18 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bloom_lm import scored
 from .common import crc_mod, table
 from .minhash_dedup import near_duplicates
+from .permutation_index import nearest
 from .pii_rules import report
 from .quality_qda import classified
 from .sentence_pieces import round_trips
 from .suffix_dedup import deduplicated
 from .tiling_decontamination import leaks
+from .url_rules import judged
 from .warc_normaliser import round_trip
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest embeddings of every one whose id is divisible by 50, against all rows."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learned from labels of those whose crc32 mod 5 is not 0."""
     return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) == 0)
@@ -37,6 +45,11 @@ def op5_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    return judged(table(spark, sf_dir, "pages"))
+
+
 def op7_pii_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every whole text of documents."""
     return report(table(spark, sf_dir, "documents"))
@@ -58,7 +71,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_qda, op3_warc_normaliser, op4_minhash_dedup, op5_tiling_decontamination, op7_pii_rules, op8_suffix_dedup, op9_bloom_lm, op10_sentence_pieces)}
+    return {f.__name__: f for f in (op1_permutation_index, op2_quality_qda, op3_warc_normaliser, op4_minhash_dedup, op5_tiling_decontamination, op6_url_rules, op7_pii_rules, op8_suffix_dedup, op9_bloom_lm, op10_sentence_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
