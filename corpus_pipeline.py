@@ -1,26 +1,57 @@
-"""The corpus pipeline: documents in, encoded clean documents out."""
+"""The corpus pipeline: documents in, clean documents as piece ids out.
+
+Each stage reads what its predecessor kept, as a Parquet table, and calls one operator of parchment.llm.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm.common import written
+from parchment.llm import pii_rules, quality_qda, sentence_pieces
+from parchment.llm.common import table, written
 from parchment.llm.minhash_dedup import near_duplicates
+from parchment.llm.tiling_decontamination import leaks
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is under the threshold go; learned from all labels of documents."""
+    stats = written(quality_qda.document_statistics(docs), "stats")
+    return quality_qda.kept(docs, quality_qda.fit(stats, table(spark, sf_dir, "labels")))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
-    stay = near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(docs.columns)
+    """Of each group of near copies (5-word shingles, similarity 0.8) the document with the smallest id stays; of rows that repeat an id all or none."""
+    gone = near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    gone = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data become their kinds in brackets; n_chars is that of the new text."""
+    return pii_rules.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, piece ids and their number, and whether they decode to the text."""
+    back = sentence_pieces.decoded(sentence_pieces.encoded(docs), text_col="decoded")
+    same = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
+    return back.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
 
-STAGES = [("minhash_dedup", dedup)]
+STAGES = [("quality_qda", quality), ("minhash_dedup", dedup), ("tiling_decontamination", decontaminate), ("pii_rules", pii), ("sentence_pieces", pieces)]
+#: SQL cannot state the classifier's fit or the piece search; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written and read again; the last one's rows."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
     return docs
