@@ -16,7 +16,7 @@ __all__ = ["WordHash", "crc_mod", "dropped", "grams", "mixed", "odd", "shared_di
 
 _OWN_DIR: list[str] = []
 #: While a table is written: shuffle files go as soon as the query ends, Python workers get small batches.
-_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:

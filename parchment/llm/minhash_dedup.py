@@ -7,8 +7,8 @@ alternating large-star and small-star steps.
 Scale: documents with equal shingle sets are one class before any candidate is made, so groups of
 exact copies cost one row. Each class first tries one link, to the smallest head (smallest class) of its
 buckets, then the other heads from which it is still apart; what a bucket then holds beside its head's
-component is compared in blocks, and only pairs whose signatures agree leave the block. Pairs inside one
-component are never looked at, so a large group of near copies costs about one link a member. No group is gathered in one task, nothing but row counts reaches the driver.
+component is compared in blocks of bounded size, where full sets are at hand and only links leave the
+block. Pairs inside one component are never looked at, so a group of near copies costs about a link a member. No group is gathered in one task, nothing but row counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from . import common as C
 BANDS, ROWS = 32, 5
 #: A link at similarity 0.8 falls below this agreement of 160 minima with probability under 1e-9.
 AGREE = 0.6
-BLOCK = 1000
+#: Classes of a bucket that are compared as one block.
+BLOCK = 500
 
 
 def shingle_set(words: list[bytes], k: int, cache: C.WordHash) -> np.ndarray:
@@ -106,20 +107,46 @@ def _agree(agree: float):
     return run
 
 
-def _block_pairs(agree: float):
-    """Pairs of two blocks of one bucket, of different components, whose signatures agree."""
+def _block_links(agree: float, percent: int, rows: int):
+    """Links between classes of two blocks of one bucket that are of different components: one for each class and component.
+
+    Signatures choose what to compare; a pair is compared in the first band that it shares alone; shared
+    shingles are counted through an inverted file of the block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 u, m = row["u"], row["m"]
-                uid, mid = (np.array([x["rep"] for x in s], np.int64) for s in (u, m))
-                uc, mc = (np.array([x["component"] for x in s], np.int64) for s in (u, m))
-                us, ms = (np.frombuffer(b"".join(x["sig"] for x in s), np.uint32).reshape(len(s), -1) for s in (u, m))
-                for i in range(len(u)):
-                    j = np.flatnonzero((mc != uc[i]) & ((ms == us[i]).mean(axis=1) >= agree))
-                    if len(j):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(uid[i], mid[j])), pa.array(np.maximum(uid[i], mid[j]))], ["a", "b"])
+                mid, mc = (np.array([x[c] for x in m], np.int64) for c in ("rep", "component"))
+                ms = np.frombuffer(b"".join(x["sig"] for x in m), np.uint32).reshape(len(m), -1)
+                sets = [np.array(x["shingles"], np.int64) for x in m]
+                sizes = np.array(list(map(len, sets)))
+                flat = np.concatenate(sets)
+                order = np.argsort(flat, kind="stable")
+                keys, owner = flat[order], np.repeat(np.arange(len(m)), sizes)[order]
+                got = []
+                for x in u:
+                    same = ms == np.frombuffer(x["sig"], np.uint32)
+                    near = (mc != x["component"]) & (same.mean(axis=1) >= agree)
+                    at = np.flatnonzero(near)
+                    if len(at):
+                        shared = same[at].reshape(len(at), -1, rows).all(axis=2)
+                        at = at[shared.argmax(axis=1) == row["band"]]
+                    if not len(at):
+                        continue
+                    s = np.array(x["shingles"], np.int64)
+                    low, high = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
+                    lens = high - low
+                    places = np.repeat(low - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
+                    both = np.bincount(owner[places], minlength=len(m))[at]
+                    linked = at[100 * both >= percent * (len(s) + sizes[at] - both)]
+                    for c in np.unique(mc[linked], return_index=True)[1]:
+                        other = int(mid[linked[c]])
+                        got.append((min(x["rep"], other), max(x["rep"], other)))
+                if got:
+                    a, b = zip(*got, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -158,11 +185,16 @@ def _with(pairs: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:
     return pairs.select("a", "b", f"{value}_a", f"{value}_b")
 
 
+def _sets_of(docs: DataFrame, heads: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """(id, shingles) of classes, made again from the whole texts of their first rows."""
+    ids = reps.distinct().join(heads.select("rep", "digest"), "rep").withColumnRenamed("rep", "doc_id")
+    wanted = docs.join(ids, "doc_id").select("doc_id", "text", "digest").distinct()
+    return C.written(wanted.mapInArrow(_sets(k), "id long, shingles array<long>"), "sets")
+
+
 def _confirmed(docs: DataFrame, heads: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets, made again from whole texts, are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(heads.select("rep", "digest"), "rep").withColumnRenamed("rep", "doc_id")
-    wanted = docs.join(ids, "doc_id").select("doc_id", "text", "digest").distinct()
-    sets = C.written(wanted.mapInArrow(_sets(k), "id long, shingles array<long>"), "sets")
+    sets = _sets_of(docs, heads, pairs.select(F.explode(F.array("a", "b")).alias("rep")), k)
     both = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
     good = 100 * both >= percent * (F.size("shingles_a") + F.size("shingles_b") - both)
     links = C.written(_with(pairs, sets, "id", "shingles").where(good).select("a", "b"), "links")
@@ -201,7 +233,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     classes = C.written(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     heads = C.written(known.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest"]).withColumnRenamed("doc_id", "rep"), "heads")
     sigs = heads.select("rep", "sig").dropDuplicates(["rep"])
-    members = heads.select("rep", F.explode("bands").alias("key"))
+    members = heads.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("key", "hub")
     members = C.written(members.join(buckets, "key"), "members")
     # first one link a class: to the smallest class that heads one of its buckets
@@ -221,13 +253,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # then what a bucket holds beside its head's component is compared in blocks
     hubs = placed.where("rep = hub").select("key", F.col("component").alias("main")).distinct()
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rows_ = placed.join(open_keys.join(hubs, "key"), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(sigs, "rep")
-    rows_ = C.written(rows_.select("key", "block", "main", "rep", "component", "sig"), "blocks")
-    packed = lambda d, to: d.groupBy("key", "block").agg(F.collect_list(F.struct("rep", "component", "sig")).alias(to)).drop("block")
-    pairs = packed(rows_.where("component != main"), "u").join(packed(rows_, "m"), "key").select("u", "m")
-    rest = pairs.mapInArrow(_block_pairs(AGREE), "a long, b long").distinct()
-    rest = C.written(rest.join(stars, ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti"), "rest")
-    found = _merged(place, _confirmed(docs, heads, rest, k, percent))
+    rows_ = C.written(placed.join(open_keys.join(hubs, "key"), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).select("key", "band", "block", "main", "rep", "component"), "blocks")
+    full = _sets_of(docs, heads, rows_.select("rep"), k).withColumnRenamed("id", "rep").join(sigs, "rep")
+    rows_ = rows_.join(full, "rep")
+    packed = lambda d, to: d.groupBy("key", "band", "block").agg(F.collect_list(F.struct("rep", "component", "sig", "shingles")).alias(to)).drop("block")
+    pairs = packed(rows_.where("component != main"), "u").join(packed(rows_, "m").drop("band"), "key").select("band", "u", "m")
+    rest = C.written(pairs.mapInArrow(_block_links(AGREE, percent, rows), "a long, b long").distinct(), "rest")
+    found = _merged(place, rest)
     out = t.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
