@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BANDS, ROWS = 32, 5
-#: A link at similarity 0.8 falls below this agreement of 160 minima with probability under 1e-9.
-AGREE = 0.6
+#: A link at similarity 0.8 falls below this agreement of 160 minima with probability under 2e-6.
+AGREE = 0.65
 #: Classes of a bucket that are compared as one block.
 BLOCK = 500
 
@@ -107,6 +107,35 @@ def _agree(agree: float):
     return run
 
 
+def _compared(row: dict, agree: float, rows: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each class of block u the classes of block m to compare it with: of another component, signatures that agree, and no earlier band that both share."""
+    mc = np.array([x["component"] for x in row["m"]], np.int64)
+    ms = np.frombuffer(b"".join(x["sig"] for x in row["m"]), np.uint32).reshape(len(mc), -1)
+    for i, x in enumerate(row["u"]):
+        same = ms == np.frombuffer(x["sig"], np.uint32)
+        at = np.flatnonzero((mc != x["component"]) & (same.mean(axis=1) >= agree))
+        if len(at):
+            at = at[same[at].reshape(len(at), -1, rows).all(axis=2).argmax(axis=1) == row["band"]]
+        if len(at):
+            yield i, at
+
+
+def _block_near(agree: float, rows: int):
+    """(key, rep) of the classes that have anything to be compared with in their bucket: at most one row a class of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keep: set[int] = set()
+                for i, at in _compared(row, agree, rows):
+                    keep.add(row["u"][i]["rep"])
+                    keep.update(row["m"][j]["rep"] for j in at)
+                if keep:
+                    yield pa.RecordBatch.from_arrays([pa.array([row["key"]] * len(keep), pa.int64()), pa.array(keep, pa.int64())], ["key", "rep"])
+
+    return run
+
+
 def _block_links(agree: float, percent: int, rows: int):
     """Links between classes of two blocks of one bucket that are of different components: one for each class and component.
 
@@ -119,22 +148,14 @@ def _block_links(agree: float, percent: int, rows: int):
             for row in batch.to_pylist():
                 u, m = row["u"], row["m"]
                 mid, mc = (np.array([x[c] for x in m], np.int64) for c in ("rep", "component"))
-                ms = np.frombuffer(b"".join(x["sig"] for x in m), np.uint32).reshape(len(m), -1)
                 sets = [np.array(x["shingles"], np.int64) for x in m]
                 sizes = np.array(list(map(len, sets)))
                 flat = np.concatenate(sets)
                 order = np.argsort(flat, kind="stable")
                 keys, owner = flat[order], np.repeat(np.arange(len(m)), sizes)[order]
                 got = []
-                for x in u:
-                    same = ms == np.frombuffer(x["sig"], np.uint32)
-                    near = (mc != x["component"]) & (same.mean(axis=1) >= agree)
-                    at = np.flatnonzero(near)
-                    if len(at):
-                        shared = same[at].reshape(len(at), -1, rows).all(axis=2)
-                        at = at[shared.argmax(axis=1) == row["band"]]
-                    if not len(at):
-                        continue
+                for i, at in _compared(row, agree, rows):
+                    x = u[i]
                     s = np.array(x["shingles"], np.int64)
                     low, high = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
                     lens = high - low
@@ -254,11 +275,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     hubs = placed.where("rep = hub").select("key", F.col("component").alias("main")).distinct()
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     rows_ = C.written(placed.join(open_keys.join(hubs, "key"), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).select("key", "band", "block", "main", "rep", "component"), "blocks")
-    full = _sets_of(docs, heads, rows_.select("rep"), k).withColumnRenamed("id", "rep").join(sigs, "rep")
-    rows_ = rows_.join(full, "rep")
-    packed = lambda d, to: d.groupBy("key", "band", "block").agg(F.collect_list(F.struct("rep", "component", "sig", "shingles")).alias(to)).drop("block")
-    pairs = packed(rows_.where("component != main"), "u").join(packed(rows_, "m").drop("band"), "key").select("band", "u", "m")
-    rest = C.written(pairs.mapInArrow(_block_links(AGREE, percent, rows), "a long, b long").distinct(), "rest")
+    # signatures first: only classes that have something to be compared with bring their full sets
+    packed = lambda d, to, *cols: d.groupBy("key", "band", "block").agg(F.collect_list(F.struct("rep", "component", *cols)).alias(to)).drop("block")
+    met = lambda d, *cols: packed(d.where("component != main"), "u", *cols).join(packed(d, "m", *cols).drop("band"), "key").select("key", "band", "u", "m")
+    keep = C.written(met(rows_.join(sigs, "rep"), "sig").mapInArrow(_block_near(AGREE, rows), "key long, rep long").distinct(), "keep")
+    full = _sets_of(docs, heads, keep.select("rep"), k).withColumnRenamed("id", "rep").join(sigs, "rep")
+    near = rows_.join(keep, ["key", "rep"]).join(full, "rep")
+    rest = C.written(met(near, "sig", "shingles").mapInArrow(_block_links(AGREE, percent, rows), "a long, b long").distinct(), "rest")
     found = _merged(place, rest)
     out = t.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
