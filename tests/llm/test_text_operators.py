@@ -144,6 +144,36 @@ def test_language_model(docs, rows, none):
     assert bloom_lm.scored(none, F.lit(False)).count() == 0
 
 
+def test_language_model_scores(docs, rows, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "SHARD_BYTES", 5000)
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    count, pairs = collections.Counter(), collections.Counter()
+    seen = [(i, held(i), [*words(t), b""]) for i, t in rows]
+    for _, out, w in seen:
+        if not out:
+            count.update(w)
+            pairs.update(zip([b"", *w], w, strict=False))
+    n, v = sum(count.values()), len(count)
+
+    def score(w, of):
+        total = 0.0
+        for a, b in zip([b"", *w], w, strict=False):
+            p1 = (count[b] + 1) / (n + v + 1)
+            total += math.log10(0.6 * min(of(pairs[a, b]), count[a], count[b]) / count[a] + 0.4 * p1 if count[a] else p1)
+        return total
+
+    def near(k):  # counts of one level are read as their geometric mean
+        same = [x for x in range(1, 2 * k + 2) if bloom_lm.levels(x) == bloom_lm.levels(k)] if k else [0]
+        return math.sqrt(same[0] * same[-1])
+
+    got = bloom_lm.scored(docs, crc_mod("doc_id", 7) == 2).collect()
+    left = collections.Counter((r.doc_id, round(r.score, 5)) for r in got)
+    assert sum(k == 1 for k in pairs.values()) > 200
+    assert left == collections.Counter((i, round(score(w, near), 5)) for i, _, w in seen)
+    rare = [(i, w) for i, _, w in seen if count[b""] and max(pairs[p] for p in zip([b"", *w], w, strict=False)) <= 3]
+    assert rare and all((i, round(score(w, int), 5)) in left for i, w in rare)
+
+
 def test_bloom_levels():
     import numpy as np
 
