@@ -147,6 +147,16 @@ def _leaks(block, coverage: float):
     return run
 
 
+def _clean(block, coverage: float, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = C.WordHash()
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array([not any(True for _ in block.value.leaks(cache.of(words_of(t)), coverage)) for t in texts], pa.bool_()))
+
+    return run
+
+
 def blocks(benchmark: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
     """The benchmark's items, a bounded number of bytes at a time; only one block is on the driver at once."""
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary"))
@@ -176,3 +186,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
         found = rows.mapInArrow(_leaks(spark.sparkContext.broadcast(b), coverage), kind)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], kind)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, text_col: str = "text") -> DataFrame:
+    """The rows of docs that leak no item, each judged by its own text: ids may be null or repeat. All columns are kept."""
+    spark = docs.sparkSession
+    C.ship(spark)
+    at = docs.columns.index(text_col)
+    for b in blocks(benchmark, least):
+        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(b), coverage, at), docs.schema)
+    return docs

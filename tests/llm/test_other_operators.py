@@ -116,6 +116,16 @@ def test_pipeline(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_qda", "minhash_dedup", "tiling_decontamination", "pii_rules", "sentence_pieces"]
 
 
+def test_pipeline_leaks_under_null_ids(spark, tmp_path):
+    item = " ".join(f"word{i}" for i in range(40))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    data = [(None, f"before {item} after"), (None, "a clean text without an id"), (1, item), (1, "the same id with a clean text"), (2, None), (3, "clean")]
+    df = spark.createDataFrame([(i, "en", t) for i, t in data], "doc_id long, lang string, text string")
+    left = corpus_pipeline.decontaminate(spark, df, str(tmp_path))
+    assert left.columns == df.columns
+    assert collections.Counter((r.doc_id, r.text) for r in left.collect()) == collections.Counter(x for x in data if item not in (x[1] or ""))
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
 
