@@ -119,7 +119,7 @@ def _capture(folder: str):
     return run
 
 
-def normalised(stream: Iterator[bytes], revisits: dict[int, tuple[int, str]] | None = None) -> Iterator[tuple[bytes, dict[str, str]]]:
+def normalised(stream: Iterator[bytes], revisits: dict[int, tuple[int | None, str]] | None = None) -> Iterator[tuple[bytes, dict[str, str]]]:
     """The records of a gzip stream, inflated once, each as a member of its own with its headers.
 
     revisits: by record number, the page and record id that a revisit refers to; its payload is left out.
@@ -131,7 +131,7 @@ def normalised(stream: Iterator[bytes], revisits: dict[int, tuple[int, str]] | N
             for h, body in records.feed(plain):
                 if revisits and number in revisits:
                     page, of = revisits[number]
-                    h = h | {"WARC-Type": "revisit", "WARC-Refers-To": of, "WARC-Profile": PROFILE, "X-Refers-To-Page": str(page), "X-Payload-Bytes": str(len(body))}
+                    h = h | {"WARC-Type": "revisit", "WARC-Refers-To": of, "WARC-Profile": PROFILE, "X-Refers-To-Page": "" if page is None else str(page), "X-Payload-Bytes": str(len(body))}
                     body = b""
                 pack = zlib.compressobj(6, zlib.DEFLATED, 31)
                 yield pack.compress(record(h, body)) + pack.flush(), h
@@ -184,7 +184,7 @@ def _read(folder: str, payloads: bool):
             for archive in batch.column(0).to_pylist():
                 system, name = _open(f"{folder}/{archive}.index.jsonl")
                 with system.open_input_stream(name) as f:
-                    index = [json.loads(x) for x in f.read().decode().splitlines()]
+                    index = [json.loads(x) for x in f.read().split(b"\n") if x]
                 system, name = _open(f"{folder}/{archive}.members.warc.gz")
                 with system.open_input_file(name) as f:
                     for at in range(0, len(index), 500):
@@ -196,7 +196,7 @@ def _read(folder: str, payloads: bool):
                             again = h["WARC-Type"] == "revisit"
                             if not again and hashlib.sha256(body).hexdigest() != digest:
                                 raise ValueError(f"{archive}: a payload differs from its digest")
-                            rows.append((int(h["X-Page-Id"]) if h["X-Page-Id"] else None, int(h["X-Payload-Bytes"]) if again else len(body), digest, h["WARC-Type"], int(h["X-Refers-To-Page"]) if again else None, archive, x["offset"], h["WARC-Target-URI"], body if payloads and not again else None))
+                            rows.append((int(h["X-Page-Id"]) if h["X-Page-Id"] else None, int(h["X-Payload-Bytes"]) if again else len(body), digest, h["WARC-Type"], int(h["X-Refers-To-Page"]) if again and h["X-Refers-To-Page"] else None, archive, x["offset"], h["WARC-Target-URI"], body if payloads and not again else None))
                         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "uri", "payload"])
 
@@ -208,7 +208,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> D
 
     A null html is an empty payload. Of equal payloads of `least` bytes or more the one with the smallest
     page_id is the response (of rows that repeat it, the first written; a null page_id comes after all others),
-    the others are revisits of it.
+    the others are revisits of it; one of a response without a page_id refers to null.
     """
     C.ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("binary"))

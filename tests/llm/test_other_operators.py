@@ -61,6 +61,17 @@ def test_warc(spark, tmp_path):
     assert not [p for p in Path(tmp_path, "w").iterdir() if p.suffix == ".part" or p.name.endswith("0.warc.gz")]
 
 
+def test_warc_lines_and_null_ids(spark, tmp_path):
+    h = "y" * 150
+    urls = ["http://a/\u0085b", "http://a/\u2028b", "http://a/\u2029b"]
+    data = [*((i, u, f"page {i}") for i, u in enumerate(urls)), (None, "u", h), (None, "v", h)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1)
+    archives = warc_normaliser.write_archives(df, f"file://{tmp_path}/w")
+    rows = warc_normaliser.read_archives(spark, f"file://{tmp_path}/w", archives).collect()
+    assert sorted(r.uri for r in rows if r.page_id is not None) == sorted(urls)
+    assert sorted((r.record_type, r.refers_to, r.payload_bytes) for r in rows if r.page_id is None) == [("response", None, 150), ("revisit", None, 150)]
+
+
 def test_normaliser_streams():
     body = bytes(random.Random(1).randrange(256) for _ in range(5000))
     plain = b"".join(warc_normaliser.record({"WARC-Type": "response", "WARC-Record-ID": f"<{i}>"}, body[:n]) for i, n in enumerate((0, 10, 5000)))
