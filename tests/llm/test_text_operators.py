@@ -216,6 +216,14 @@ def test_personal_data(spark):
     assert pii_rules.redacted(iban).columns == iban.columns
 
 
+def test_long_secrets(spark):
+    runs = {1: 23, 2: 24, 3: 128, 4: 129, 5: 50_000}
+    token = {i: ("aB3_" * n)[:n] for i, n in runs.items()}
+    df = spark.createDataFrame([(i, f"the token {t}, then") for i, t in token.items()], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii_rules.redacted(df).collect()}
+    assert got == {i: f"the token {'[SECRET]' if runs[i] >= 24 else t}, then" for i, t in token.items()}
+
+
 def test_decontamination(spark, docs, none):
     item = sentence(40)
     w = item.split()
