@@ -1,17 +1,15 @@
-"""Substring deduplication by prefix-partitioned suffix trees.
+"""Substring deduplication by hashes of fixed-length word windows; no suffix tree is built.
 
-Every position of a document starts a suffix of its words. A passage is repeated if an internal node of the
-suffix tree lies at least `window` words deep, so the trees are cut off at that depth and edges are hashed
-(128 bits): a node at that depth is a group of suffixes whose first `window` words agree, its first leaf in
-order of (doc_id, position) is the occurrence that stays, the words under all other leaves go.
+Every position of a document starts a window of `window` words, which is hashed to 128 bits. Of equal windows
+the first in order of (doc_id, position) stays, the words under all others go. That is what a suffix tree cut
+off at `window` words would find: deeper nodes and maximal repeats do not change which words go.
 
-Prefixes are of two lengths. First a suffix is filed under the seed word run of its window (the 8-word run
-with the least hash, so that equal windows choose equal seeds): about one seed in seven words. A seed that
-occurs once heads a tree with one leaf, and all its suffixes are dropped. Only suffixes under repeated seeds
-are then filed under their whole `window`-word prefix, which is what bounds a group: the leaves below one
-node are never gathered, their first is a partial minimum, and large nodes are split like any skewed join.
+First a window is filed under its seed word run (the 8-word run with the least hash, so that equal windows
+choose equal seeds): about one seed in seven words. Windows under a seed that occurs once are dropped. Only
+windows under repeated seeds are then grouped by their whole hash: a group is never gathered, its first is a
+partial minimum, and large groups are split like any skewed join.
 
-Scale: exact copies of a text are one tree leaf set (later copies go as a whole); three shuffles carry
+Scale: of exact copies of a text only the first is cut into windows (later ones go as a whole); three shuffles carry
 hashes and positions, two carry texts, and each lineage is cut by a table in the shared folder.
 """
 
