@@ -1,22 +1,30 @@
-"""Substring deduplication by hashes of fixed-length word windows; no suffix tree is built.
+"""Substring deduplication by prefix-partitioned suffix trees over words.
 
-Every position of a document starts a window of `window` words, which is hashed to 128 bits. Of equal windows
-the first in order of (doc_id, position) stays, the words under all others go. That is what a suffix tree cut
-off at `window` words would find: deeper nodes and maximal repeats do not change which words go.
+A window is `window` consecutive words. Its seed is its 8-word run with the least hash (the first of equals), so
+equal windows have equal seeds in equal places. Suffixes are filed under the seed with which they begin, their
+prefix; neighbouring windows share a seed, so a document sends one strand of text for all windows of a seed. A
+prefix that occurs once holds no repeat and is dropped before any text is moved. A prefix under which more than
+`MOST` strands lie is lengthened, to the right or to the left but within the window, to 14 words; one that is
+still too common is lengthened to the whole window, which is then a node of its own: it needs no subtree, only its
+first leaf, a partial minimum.
 
-First a window is filed under its seed word run (the 8-word run with the least hash, so that equal windows
-choose equal seeds): about one seed in seven words. Windows under a seed that occurs once are dropped. Only
-windows under repeated seeds are then grouped by their whole hash: a group is never gathered, its first is a
-partial minimum, and large groups are split like any skewed join.
+A group of at most `MOST` strands fits in memory. Its suffixes are sorted word by word; their common prefix
+lengths give the internal nodes of the group's suffix tree at each depth, and a second tree over the words before
+the seed, read backwards, tells which leaves of a node agree further to the left. Leaves that meet in a node of
+each tree whose depths add up to a window are occurrences of one repeat. All but the first in order of
+(doc_id, position) go, and windows that overlap join into the maximal repeats that are cut out of a document.
 
-Scale: of exact copies of a text only the first is cut into windows (later ones go as a whole); three shuffles carry
-hashes and positions, two carry texts, and each lineage is cut by a table in the shared folder.
+Scale: of exact copies of a text only the first is cut into strands (later ones go as a whole). Groups are dealt by
+their prefix and bounded; words are compared themselves in the trees, windows as nodes by 128-bit hashes of their
+bytes. Joins with counts read written tables, so their common keys can be split.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +36,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WINDOW, SEED = 20, 8
+#: Most strands under one prefix that are put into one subtree, and strands worked on at a time.
+MOST, CHUNK = 4096, 32_768
+FIRST = -(2**63)
 
 
 def seeds(w: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -73,21 +84,150 @@ def _read(window: int):
     return run
 
 
-def _suffixes(window: int):
-    """Suffixes under repeated seeds: (a, b) the 128-bit hash of the window, and where it starts."""
+def strands(w: np.ndarray, few: np.ndarray, many: np.ndarray, window: int = WINDOW, seed: int = SEED) -> list[tuple[int, int, int, int, bool]]:
+    """(prefix, place of the seed, first window, last window, lengthened) of a text's windows under prefixes of two kinds.
 
+    Windows under a common prefix are filed under a longer one: half of the way to the whole window, to the right of the
+    seed where the window reaches that far, else to the left.
+    """
+    g, at = seeds(w, window, seed)
+    if not len(at):
+        return []
+    seed = min(seed, window)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    last = np.concatenate([first[1:] - 1, [len(at) - 1]])
+    place = at[first]
+    key = g[place].view(np.int64)
+    out = [(*x, False) for i in np.flatnonzero(np.isin(key, few)) for x in [(int(key[i]), int(place[i]), int(first[i]), int(last[i]))]]
+    common = np.flatnonzero(np.isin(key, many))
+    if len(common):
+        more = (window - seed) // 2
+        right, left = (C.grams(w, seed + more, seed=x).view(np.int64) for x in (33, 34))
+        for i in common.tolist():
+            s, lo, hi = int(place[i]), int(first[i]), int(last[i])
+            turn = s - (window - seed - more)  # the first window that reaches as far to the right
+            if hi >= turn:
+                out.append((int(right[s]), s, max(lo, turn), hi, True))
+            if lo < turn:
+                out.append((int(left[s - more]), s, lo, min(hi, turn - 1), True))
+    return out
+
+
+STRAND = "key long, longer boolean, doc_id long, uid long, place int, first int, n int, words binary"
+
+
+def _strands(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = C.WordHash()
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        names = [x.split()[0] for x in STRAND.split(", ")]
+        rows: list[tuple] = []
         for batch in batches:
-            for uid, doc_id, text, again in zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "text", "again")), strict=True):
-                w = cache.of(text.split())
-                g, s = seeds(w, window)
-                starts = np.flatnonzero(np.isin(g[s].view(np.int64), np.array(again, np.int64)))
-                for i in range(0, len(starts), 100_000):
-                    at = starts[i : i + 100_000]
-                    a, b = C.grams(w, window, seed=41)[at], C.grams(w, window, seed=42)[at]
-                    m = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([doc_id] * m, pa.int64()), pa.array([uid] * m, pa.int64()), pa.array(at.astype(np.int32))], ["a", "b", "doc_id", "uid", "start"])
+            for uid, doc_id, text, few, many in zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "text", "few", "many")), strict=True):
+                words = text.split()
+                for key, s, lo, hi, longer in strands(cache.of(words), np.array(few, np.int64), np.array(many, np.int64), window):
+                    rows.append((key, longer, FIRST if doc_id is None else doc_id, uid, s, lo, hi - lo + 1, b" ".join(words[lo : hi + window])))
+                    if len(rows) >= 5000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+class Tree:
+    """The suffix tree of sorted rows of word numbers, kept as their order and common prefix lengths."""
+
+    def __init__(self, rows: np.ndarray, group: np.ndarray | None = None):
+        columns = [rows[:, i] for i in range(rows.shape[1] - 1, -1, -1)]
+        self.order = np.lexsort(columns if group is None else [*columns, group])
+        x = rows[self.order]
+        differ = np.concatenate([x[1:] != x[:-1], np.ones((max(len(x) - 1, 0), 1), bool)], axis=1)
+        #: words that each row has in common with the one before it in order; of different groups none
+        self.common = np.concatenate([[-1], differ.argmax(axis=1)])[: len(x)]
+        if group is not None and len(x):
+            g = group[self.order]
+            self.common[1:][g[1:] != g[:-1]] = -1
+        deep = np.maximum(self.common, np.append(self.common[1:], -1))
+        #: by row: depth of the deepest internal node above its leaf
+        self.deepest = np.empty(len(x), np.int64)
+        self.deepest[self.order] = deep
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """By row the number of the node that its path meets at this depth."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.cumsum(self.common < depth)
+        return out
+
+
+def later_windows(key: np.ndarray, place: np.ndarray, first: np.ndarray, n: np.ndarray, words: list[bytes], window: int = WINDOW, seed: int = SEED) -> np.ndarray:
+    """For strands in order of their documents and places: bit l is set if the window that starts l words before the seed is not the first of its words."""
+    numbers: dict[bytes, int] = defaultdict(count().__next__)
+    flat = np.fromiter(map(numbers.__getitem__, b" ".join(words).split()), np.int32)
+    seed = min(seed, window)
+    size = n + window - 1
+    begin = np.cumsum(size) - size
+    left = place - first  # words of the strand before its seed
+    at = begin + left
+    j = np.arange(window)
+    ahead = np.where(j < (size - left)[:, None], flat[np.minimum(at[:, None] + j, len(flat) - 1)], -1)
+    back = np.arange(1, window - seed + 1)
+    behind = np.where(back <= left[:, None], flat[np.maximum(at[:, None] - back, 0)], -1)
+    forward, backward = Tree(ahead, key), Tree(behind)
+    out = np.zeros(len(key), np.int64)
+    for l in range(window - seed + 1):
+        some = np.flatnonzero((left - n < l) & (l <= left) & (forward.deepest >= window - l) & (backward.deepest >= l))
+        if len(some):
+            both = (forward.nodes(window - l)[some] << 32) | backward.nodes(l)[some]
+            lead = np.zeros(len(some), bool)
+            lead[np.unique(both, return_index=True)[1]] = True
+            out[some[~lead]] |= 1 << l
+    return out
+
+
+def _subtrees(window: int):
+    """(uid, place, later) of strands that come in order of their prefixes: whole groups at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(t: pa.Table) -> pa.RecordBatch:
+            t = t.sort_by([("doc_id", "ascending"), ("uid", "ascending"), ("first", "ascending")])
+            num = lambda c: t.column(c).to_numpy().astype(np.int64)
+            later = later_windows(num("key"), num("place"), num("first"), num("n"), t.column("words").to_pylist(), window)
+            some = later != 0
+            return pa.RecordBatch.from_arrays([pa.array(num("uid")[some]), pa.array(num("place")[some].astype(np.int32)), pa.array(later[some])], ["uid", "place", "later"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= CHUNK:
+                t = pa.Table.from_batches(held)
+                keys = t.column("key").to_numpy()
+                cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
+                if cut:
+                    yield done(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+        if held and (t := pa.Table.from_batches(held)).num_rows:
+            yield done(t)
+
+    return run
+
+
+def _windows(window: int):
+    """(a, b, doc_id, uid, start) of the windows of strands: the 128-bit hash of the words, and where they stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [[], [], [], []]
+            hashes = []
+            for doc_id, uid, first, n, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "uid", "first", "n", "words")), strict=True):
+                words = text.split()
+                hashes += [xxhash.xxh3_128_digest(b" ".join(words[i : i + window])) for i in range(n)]
+                for c, x in zip(cols, ([doc_id] * n, [uid] * n, range(first, first + n)), strict=False):
+                    c.extend(x)
+            h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["a", "b", "doc_id", "uid", "start"])
 
     return run
 
@@ -104,9 +244,11 @@ def _cut(window: int, texts_too: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, sha, kept = [], [], []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
+            for text, places, later in zip(*(batch.column(c).to_pylist() for c in ("text", "places", "later")), strict=True):
                 words = text.split()
-                gone = covered(len(words), np.array(starts, np.int64), window)
+                place, bits = np.array(places, np.int64), np.array(later, np.int64)
+                starts = np.concatenate([(place - l)[bits >> l & 1 == 1] for l in range(window)])
+                gone = covered(len(words), starts, window)
                 stay = [words[i] for i in np.flatnonzero(~gone)]
                 removed.append(int(gone.sum()))
                 sha.append(_sha(stay))
@@ -126,7 +268,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, texts_too: bool = False,
     """
     C.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    t = C.written(rows.mapInArrow(_read(window), "uid long, doc_id long, digest binary, n_words long, sha string, seeds array<long>, text binary"), "suffix_docs")
+    t = C.written(rows.mapInArrow(C.lean(_read(window)), "uid long, doc_id long, digest binary, n_words long, sha string, seeds array<long>, text binary"), "suffix_docs")
     long = t.where(F.col("n_words") >= window)
     # of equal texts the first row stays in the trees; its place in order is (id, row)
     place = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id"), "uid")
@@ -134,17 +276,26 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, texts_too: bool = False,
     tree = long.join(firsts, "uid", "left_semi")
     filed = C.written(tree.select("uid", F.explode("seeds").alias("seed")), "seeds")
     # a window's seed may stand twice in one document: such a run is filed once a place, so counts are of places
-    again = filed.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
-    of_doc = C.written(filed.join(again, "seed").groupBy("uid").agg(F.collect_set("seed").alias("again")), "again")
-    C.dropped(filed)
-    suffixes = tree.select("uid", "doc_id", "text").join(of_doc, "uid").mapInArrow(_suffixes(window), "a long, b long, doc_id long, uid long, start int")
-    suffixes = C.written(suffixes, "suffixes")
-    leaf = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id"), "uid", "start")
-    nodes = suffixes.groupBy("a", "b").agg(F.min(leaf).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", F.col("first.uid").alias("first_uid"), F.col("first.start").alias("first_start"))
-    later = suffixes.join(nodes, ["a", "b"]).where("uid != first_uid or start != first_start")
-    later = C.written(later.groupBy("uid").agg(F.collect_list("start").alias("starts")), "later")
-    C.dropped(suffixes)
-    cut = t.select("uid", "text").join(later, "uid").mapInArrow(_cut(window, texts_too), "uid long, n_removed long, kept_sha256 string, kept_text string")
+    again = C.written(filed.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed", (F.col("n") > MOST).alias("common")), "again")
+    kept = lambda is_common: F.collect_set(F.when(F.col("common") == is_common, F.col("seed")))
+    of_doc = C.written(filed.join(again, "seed").groupBy("uid").agg(kept(False).alias("few"), kept(True).alias("many")), "of_doc")
+    C.dropped(filed), C.dropped(again)
+    found = C.written(tree.select("uid", "doc_id", "text").join(of_doc, "uid").mapInArrow(C.lean(_strands(window)), STRAND), "strands")
+    C.dropped(of_doc)
+    # lengthened prefixes that are still too common become nodes as whole windows
+    common = C.written(found.where("longer").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("key"), "common")
+    later = found.join(common, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(C.lean(_subtrees(window)), "uid long, place int, later long")
+    later = C.written(later, "later")
+    windows = C.written(found.where("longer").join(common, "key", "left_semi").mapInArrow(C.lean(_windows(window)), "a long, b long, doc_id long, uid long, start int"), "windows")
+    C.dropped(found), C.dropped(common)
+    nodes = windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "uid", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    nodes = C.written(nodes.select("a", "b", F.col("first.uid").alias("first_uid"), F.col("first.start").alias("first_start")), "nodes")
+    others = windows.join(nodes, ["a", "b"]).where("uid != first_uid or start != first_start").select("uid", F.col("start").alias("place"), F.lit(1).cast("long").alias("later"))
+    # a list for each document, in its order
+    by_doc = C.written(later.unionByName(others).groupBy("uid").agg(F.collect_list("place").alias("places"), F.collect_list("later").alias("later")), "by_doc")
+    for x in (later, windows, nodes):
+        C.dropped(x)
+    cut = t.select("uid", "text").join(by_doc, "uid").mapInArrow(C.lean(_cut(window, texts_too)), "uid long, n_removed long, kept_sha256 string, kept_text string")
     cut = C.written(cut, "cut")
     out = t.select("uid", "doc_id", "n_words", "sha").join(cut, "uid", "left").join(firsts.withColumn("first", F.lit(True)), "uid", "left")
     whole = F.col("first").isNull() & (F.col("n_words") >= window)
