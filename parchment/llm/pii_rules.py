@@ -1,8 +1,8 @@
 """Personal data by regular expressions, checksums and context, with built-in expressions only.
 
 Regular expressions propose spans, checksums (Luhn, mod 97) and ranges confirm them, and words before a span
-raise its score. Base kinds (email, ip, card, phone) are those whose pattern and check hold; spans that the
-method adds (iban, secret, tel) need a score of at least `LEAST_SCORE`, and none overlaps a base span.
+raise its score. Base kinds (email, ip, card, phone) are those whose pattern and check hold, whatever their score;
+spans that the method adds (iban, secret, tel) need a score of at least `LEAST_SCORE`, and none overlaps a base span.
 
 Scale: everything is a projection of one row: no shuffle, no Python, whole-text regular expressions that
 advance without going back (possessive), so that long runs of one character class cost linear time.
@@ -24,9 +24,16 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: The length of account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ XK LT LU MN", 21: "HR LV LI CH",
+    22: "BH BG CR GE DE IE ME RS GB VA", 23: "TL GI IQ IL OM SO AE", 24: "AD CZ MD PK RO SA SK ES SE TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MR MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
 #: Kinds that the method adds: International Bank Account Numbers, secrets, national telephone numbers.
 MORE = {
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{24,}+",
     "tel": r"(?<![0-9A-Za-z.+-])(?:\([0-9]{2,4}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])",
 }
@@ -35,12 +42,16 @@ NEEDS = {"email": "@", "phone": "+"}
 KINDS = ["email", "ip", "card", "phone", "iban", "secret", "tel"]
 #: Words within CONTEXT code points before a span that speak for its kind.
 WORDS = {
+    "email": r"(?i)\b(?:e-?mail|mail|contact|write|correo|courriel)\b",
+    "ip": r"(?i)\b(?:ip|address|host|server|login|adresse)\b",
+    "card": r"(?i)\b(?:card|visa|mastercard|credit|karte|tarjeta|carte)\b",
+    "phone": r"(?i)\b(?:tel|telephone|phone|call|fax|mobile|mobil|telefon|teléfono|téléphone)\b",
     "iban": r"(?i)\b(?:iban|account|konto|cuenta|compte|bank)\b",
     "secret": r"(?i)(?:token|secret|key|password|passwd|pwd|credential|bearer)",
     "tel": r"(?i)\b(?:tel|telephone|phone|call|fax|mobile|mobil|telefon|teléfono|téléphone)\b",
 }
 CONTEXT = 24
-BASE_SCORE = {"iban": 0.4, "secret": 0.3, "tel": 0.3}
+BASE_SCORE = {"email": 0.6, "ip": 0.5, "card": 0.1, "phone": 0.5, "iban": 0.4, "secret": 0.3, "tel": 0.3}
 CHECKED, IN_CONTEXT, LEAST_SCORE = 0.5, 0.4, 0.6
 
 
@@ -97,6 +108,8 @@ def _valid(kind: str, match: Column) -> Column:
 def _score(kind: str, span: Column, text: Column) -> Column:
     """A proposed span's score: its kind's, more if a checksum or the words before it speak for it."""
     score = F.lit(BASE_SCORE[kind])
+    if kind == "card":  # its checksum held, or it were no span
+        score = score + CHECKED
     if kind == "iban":
         score = score + F.when(mod97(span["match"]), CHECKED).otherwise(-1.0)
     if kind == "secret":  # letters and digits mixed
@@ -147,6 +160,18 @@ def _joined(all_spans: Column) -> Column:
     return F.array_join(F.transform(all_spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+def _scores(text: Column, all_spans: Column) -> Column:
+    """Scores of spans, comma-joined."""
+
+    def one(x: Column) -> Column:
+        out = F.lit(0.0)
+        for kind in KINDS:
+            out = F.when(x["kind"] == kind, _score(kind, x, text)).otherwise(out)
+        return F.round(out, 2).cast("string")
+
+    return F.array_join(F.transform(all_spans, one), ",")
+
+
 def found(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with columns base_spans and more_spans in place of any so named; all other columns as they are.
 
@@ -157,10 +182,14 @@ def found(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, counts of the base kinds, base_sha256, spans (kind:start:end, end exclusive)."""
+    """Per row: doc_id, counts of the base kinds, base_sha256, spans (kind:start:end, end exclusive), scores in the order of spans.
+
+    Null and empty texts have no spans and empty strings for them; repeated rows and null ids are reported each; an
+    empty table gives an empty result.
+    """
     got = found(docs.select("doc_id", "text"))
     counts = [F.size(_where(F.col("base_spans"), partial(_of_kind, k))).cast("long").alias(f"n_{k}") for k in PATTERNS]
-    return got.select("doc_id", *counts, F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"), _joined(F.concat("base_spans", "more_spans")).alias("spans"))
+    return got.select("doc_id", *counts, F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"), _joined(F.concat("base_spans", "more_spans")).alias("spans"), _scores(F.coalesce("text", F.lit("")), F.concat("base_spans", "more_spans")).alias("scores"))
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
