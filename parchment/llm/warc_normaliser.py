@@ -87,7 +87,7 @@ def _store(path: str, data: bytes | list[bytes]) -> None:
     system.move(mine, name)
 
 
-def _capture(folder: str):
+def _capture(folder: str, most: int = ARCHIVE_BYTES):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, name = _open(folder)
         system.create_dir(name, recursive=True)
@@ -109,7 +109,7 @@ def _capture(folder: str):
                 parts.append(packer.compress(record(h, body)))
                 rows.append((page, len(body), digest))
                 size += len(body) + 500
-                if size >= ARCHIVE_BYTES:
+                if size >= most:
                     yield close()
                     packer, parts, size, rows, seq = zlib.compressobj(1, zlib.DEFLATED, 31), [], 0, [], seq + 1
                     archive = f"capture-{task:08d}-{seq:05d}"
@@ -203,7 +203,7 @@ def _read(folder: str, payloads: bool):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Capture pages (page_id, url, html) into archives in folder and normalise them; returns (archive, records).
 
     A null html is an empty payload. Of equal payloads of `least` bytes or more the one with the smallest
@@ -212,7 +212,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> D
     """
     C.ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("binary"))
-    held = C.written(rows.mapInArrow(_capture(folder), "archive string, number long, page_id long, bytes long, digest string"), "captured")
+    held = C.written(rows.mapInArrow(_capture(folder, archive_bytes), "archive string, number long, page_id long, bytes long, digest string"), "captured")
     big = held.where(F.col("bytes") >= least)
     place = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "archive", "number")
     heads = big.groupBy("digest").agg(F.min(place).alias("h"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("h.page_id").alias("page"), F.col("h.archive").alias("of_archive"), F.col("h.number").alias("of_number"))
