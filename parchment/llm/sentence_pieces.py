@@ -29,8 +29,9 @@ from . import common as C
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MULT = np.uint64(0x9E3779B97F4A7C55)
-#: Low bits of a hash by which most probes end before the sorted keys are searched.
-SIEVE = np.uint64((1 << 22) - 1)
+#: First bits of a hash that place it in a table.
+BITS = 20
+SHIFT = np.uint64(64 - BITS)
 MOST_WORDS = 300_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -98,10 +99,17 @@ class Pieces:
         ids = np.flatnonzero(self.match)
         order = np.argsort(self.hashes[ids])
         self.keys, self.ids = self.hashes[ids][order], ids[order]
-        self.seen = np.zeros(int(SIEVE) + 1, bool)
-        self.seen[self.keys & SIEVE] = True
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
+        # a table by the first bits of the hash; keys that share them with another are searched in order
+        self.slots = np.full(1 << BITS, -1)
+        slot = (self.keys >> SHIFT).astype(np.int64)
+        self.slots[slot] = self.ids
+        crowded = np.bincount(slot, minlength=1 << BITS)[slot] > 1
+        self.crowded, self.crowded_ids = np.append(self.keys[crowded], np.uint64(2**64 - 1)), np.append(self.ids[crowded], -1)
+        #: pairs of adjacent pieces worked out before, by hash; a later pair takes the place of an earlier one
+        self.pair_codes, self.pair_fits = np.full(1 << BITS, -1), np.zeros(1 << BITS, bool)
+        self.powers = np.array([pow(int(MULT), k, 1 << 64) for k in range(int(self.lens[ids].max(initial=1)) + 1)], np.uint64)
         self.longest = int(self.lens[ids].max(initial=1))
         # no piece joins two characters where the text is split, so parts are independent
         pairs = {a + b for t in self.lookup for a, b in zip(t, t[1:], strict=False)}
@@ -128,22 +136,39 @@ class Pieces:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Ids of the pieces with these hashes, -1 for none."""
-        out = np.full(h.shape, -1)
-        some = np.nonzero(self.seen[h & SIEVE])
-        x = h[some]
-        at = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
-        out[some] = np.where(self.keys[at] == x, self.ids[at], -1)
-        return out
+        """Ids of the pieces with these hashes, -1 for none: a probe of a table by the hash's first bits, then the sorted keys of those that share them."""
+        out = self.slots[(h >> SHIFT).astype(np.int64)]
+        some = np.flatnonzero(out.ravel() != -1)
+        x, flat = h.ravel()[some], out.ravel()
+        got = flat[some]
+        wrong = self.hashes[got] != x
+        if wrong.any():
+            y = x[wrong]
+            at = np.minimum(np.searchsorted(self.crowded, y), len(self.crowded) - 1)
+            got[wrong] = np.where(self.crowded[at] == y, self.crowded_ids[at], -1)
+            flat[some] = got
+        return flat.reshape(h.shape)
+
+    def fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """uncrossed(a, b), with what earlier calls found out."""
+        code = a * len(self.texts) + b
+        slot = (code.astype(np.uint64) * MULT >> SHIFT).astype(np.int64)
+        ok = self.pair_fits[slot]
+        miss = np.flatnonzero(self.pair_codes[slot] != code)
+        if len(miss):
+            new, back = np.unique(code[miss], return_inverse=True)
+            fits = self.uncrossed(new // len(self.texts), new % len(self.texts))
+            ok[miss] = fits[back]
+            self.pair_codes[slot[miss]], self.pair_fits[slot[miss]] = code[miss], ok[miss]
+        return ok
 
     def uncrossed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For pairs of adjacent pieces: no merge crosses their boundary. Undoes the later of their last merges, again and again."""
         ok = np.ones(len(a), bool)
         live = np.arange(len(a))
         a, b, limit = a.copy(), b.copy(), np.full(len(a), NEVER)
-        power = np.array([pow(int(MULT), int(k), 1 << 64) for k in range(self.longest + 1)], np.uint64)
         while len(live):
-            both = self.find(self.hashes[a] * power[self.lens[b]] + self.hashes[b])
+            both = self.find(self.hashes[a] * self.powers[self.lens[b]] + self.hashes[b])
             crossed = (both >= 0) & (self.rank[both] < limit)
             ok[live[crossed]] = False
             ra = np.where(self.left[a] < 0, -1, self.rank[a])
@@ -164,69 +189,50 @@ class Pieces:
         for i in range(size):
             h[:, i + 1] = h[:, i] * MULT + code[:, i] + np.uint64(1)
         most = min(self.longest, size)
+        if self.model_type == BPE:
+            return self._boundaries(h, n, size, most)
         # piece[l - 1][:, s]: the piece of length l from s, -1 for none; a character that is no piece is -2
         piece = []
         for k in range(1, most + 1):
-            p = self.find(h[:, k:] - h[:, :-k] * np.uint64(pow(int(MULT), k, 1 << 64)))
-            if self.model_type == BPE:
-                p = np.where((p >= 0) & self.reachable[p], p, -1)
+            p = self.find(h[:, k:] - h[:, :-k] * self.powers[k])
             piece.append(np.where(p < 0, -2, p) if k == 1 else p)
-        if self.model_type == BPE:
-            return self._boundaries(piece, n, size, most)
         best = np.full((n, size + 1), -np.inf)
         best[:, 0] = 0
-        back = np.zeros((n, size + 1), np.int64)
+        back, last = np.zeros((n, size + 1), np.int64), np.full((n, size + 1), -3)
         low = self.scores[self.ids].min() - 10
         for e in range(1, size + 1):
             for k in range(1, min(most, e) + 1):
                 p = piece[k - 1][:, e - k]
                 s = best[:, e - k] + np.where(p >= 0, self.scores[p], low if k == 1 else -np.inf)
                 better = s > best[:, e]
-                best[better, e], back[better, e] = s[better], k
-        return self._traced(piece, back, n, size)
+                best[better, e], back[better, e], last[better, e] = s[better], k, p[better]
+        return self._traced(last, back, n, size)
 
-    def _boundaries(self, piece: list[np.ndarray], n: int, size: int, most: int) -> np.ndarray:
-        width = len(self.texts)
-        pairs = []
-        for k in range(1, most + 1):
-            for j in range(1, most + 1):
-                if k + j <= size:
-                    a, b = piece[k - 1][:, : size - k - j + 1], piece[j - 1][:, k : size - j + 1]
-                    both = (a >= 0) & (b >= 0)
-                    pairs.append(np.unique(a[both] * width + b[both]))
-        pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        good = pairs[self.uncrossed(pairs // width, pairs % width)] if len(pairs) else pairs
-        good = np.concatenate([good, [NEVER]])
-        back = np.zeros((n, size + 1), np.int64)
-        last = np.full((n, size + 1), -3)
+    def _boundaries(self, h: np.ndarray, n: int, size: int, most: int) -> np.ndarray:
+        """For each prefix of all words the last piece: the one that fits behind the last piece of what is before it."""
+        back, last = np.zeros((n, size + 1), np.int64), np.full((n, size + 1), -3)
         for e in range(1, size + 1):
-            for k in range(1, min(most, e) + 1):
-                p = piece[k - 1][:, e - k]
-                at = np.flatnonzero((p != -1) & (last[:, e - k] != -3)) if e > k else np.flatnonzero(p != -1)
-                if not len(at):
-                    continue
-                p = p[at]
-                if e > k:
-                    q = last[at, e - k]
-                    code = q * width + p
-                    fits = (q == -2) | (p == -2) | (good[np.searchsorted(good, code)] == code)
-                    at, p = at[fits], p[fits]
-                back[at, e], last[at, e] = k, p
-        return self._traced(piece, back, n, size)
-
-    def _traced(self, piece: list[np.ndarray], back: np.ndarray, n: int, size: int) -> np.ndarray:
+            k = min(most, e)
+            p = self.find(h[:, e, None] - h[:, e - k : e][:, ::-1] * self.powers[None, 1 : k + 1])
+            p[(p >= 0) & ~self.reachable[p]] = -1
+            p[p[:, 0] < 0, 0] = -2
+            rows, lens = np.nonzero(p != -1)
+            lens += 1
+            p, q = p[rows, lens - 1], last[rows, e - lens]
+            fits = (lens == e) | (q == -2) | (p == -2)
+            open_ = np.flatnonzero(~fits & (q >= 0))
+            fits[open_] = self.fit(q[open_], p[open_])
+            back[rows[fits], e], last[rows[fits], e] = lens[fits], p[fits]
+        return self._traced(last, back, n, size)
+
+    def _traced(self, last: np.ndarray, back: np.ndarray, n: int, size: int) -> np.ndarray:
         """Follow the back pointers of all words together; -2 - s stands for the character at s that is no piece."""
         out = np.full((n, size), -1)
-        e = np.full(n, size)
-        rows = np.arange(n)
+        rows, e = np.arange(n), np.full(n, size)
         while len(rows):
-            k = back[rows, e]
-            for length in np.unique(k):
-                r, s = rows[k == length], e[k == length] - length
-                p = piece[length - 1][r, s]
-                out[r, s] = np.where(p == -2, -2 - s, p)
-            e = e - k
-            rows, e = rows[e > 0], e[e > 0]
+            s, p = e - back[rows, e], last[rows, e]
+            out[rows, s] = np.where(p == -2, -2 - s, p)
+            rows, e = rows[s > 0], s[s > 0]
         return out
 
     def encode_words(self, words: list[str]) -> list[bytes]:
@@ -281,10 +287,12 @@ class Pieces:
         for t in texts:
             t = (t or "").replace(" ", SPACE)
             split.append(self.splitter.findall(SPACE + t if t and self.dummy_prefix else t))
-        new = list({w for s in split for w in s if w not in memory})
-        if len(memory) + len(new) > MOST_WORDS:
+        now = set().union(*split)
+        new = list(now.difference(memory))
+        if len(memory) + len(new) > MOST_WORDS:  # what is in use now stays
+            stay = {w: memory[w] for w in now.intersection(memory)}
             memory.clear()
-            new = list({w for s in split for w in s})
+            memory.update(stay)
         memory.update(zip(new, self.encode_words(new), strict=True))
         return [b"".join(map(memory.__getitem__, s)) for s in split]
 
@@ -321,7 +329,11 @@ def load(path: str = MODEL) -> Pieces:
     return Pieces(texts, np.array(scores), kinds, model_type, prefix)
 
 
-def _encoder(pieces, also_decode: bool):
+def _lists(got: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]).astype(np.int32)), pa.array(np.concatenate(got)))
+
+
+def _encoder(pieces, also_decode: bool, digests: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Pieces = pieces.value
         memory: dict[str, bytes] = {}
@@ -331,12 +343,13 @@ def _encoder(pieces, also_decode: bool):
                 texts = part.column(1).to_pylist()
                 got = [np.frombuffer(b, "<i4") for b in model.encode_texts(texts, memory)]
                 if not also_decode:
-                    ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got)))
-                    yield pa.RecordBatch.from_arrays([part.column(0), ids], ["row", "ids"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), _lists(got)], ["row", "ids"])
                     continue
                 back = [model.decode(g) for g in got]
-                same = [b == (t or "").replace(SPACE, " ") for b, t in zip(back, texts, strict=True)]
+                same = [b == (t or "") for b, t in zip(back, texts, strict=True)]
+                if not digests:
+                    yield pa.RecordBatch.from_arrays([part.column(0), _lists(got), pa.array(same)], ["row", "ids", "round_trip"])
+                    continue
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, got), pa.int64()), pa.array([hashlib.sha256(g.tobytes()).hexdigest() for g in got]), pa.array([hashlib.sha256(b.encode()).hexdigest() for b in back]), pa.array(same)], ["row", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
     return run
@@ -353,7 +366,7 @@ def _decoder(pieces):
 
 def _run(df: DataFrame, value: str, f, kind: str) -> DataFrame:
     both = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), df[f"`{value}`"].alias("value"))
-    return both.mapInArrow(f, f"row {both.schema['row'].dataType.simpleString()}, {kind}")
+    return both.mapInArrow(C.lean(f), f"row {both.schema['row'].dataType.simpleString()}, {kind}")
 
 
 def _shared(spark: SparkSession, path: str):
@@ -376,7 +389,16 @@ def decoded(rows: DataFrame, path: str = MODEL, ids_col: str = "ids", text_col:
     return out.select(*[F.col(f"row.`{c}`") for c in rows.columns if c != text_col], F.col("text").alias(text_col))
 
 
+def encoded_and_checked(docs: DataFrame, path: str = MODEL, text_col: str = "text") -> DataFrame:
+    """encoded(), and in the same pass round_trip: whether the ids decode to the text itself (null: the empty text)."""
+    out = _run(docs, text_col, _encoder(_shared(docs.sparkSession, path), True, digests=False), "ids array<int>, round_trip boolean")
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ("ids", "round_trip")], "ids", "round_trip")
+
+
 def round_trips(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit), decoded_sha256, round_trip."""
+    """Per row: doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit), decoded_sha256, round_trip.
+
+    round_trip: the decoded text is the text itself (null: the empty text), so it is false where a text has a U+2581 of its own.
+    """
     out = _run(docs.select("doc_id", "text"), "text", _encoder(_shared(docs.sparkSession, path), True), "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
     return out.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip")
