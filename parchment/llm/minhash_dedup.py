@@ -7,8 +7,10 @@ alternating large-star and small-star steps.
 Scale: documents with equal shingle sets are one class before any candidate is made, so groups of
 exact copies cost one row. Each class first tries one link, to the smallest head (smallest class) of its
 buckets, then the other heads from which it is still apart; what a bucket then holds beside its head's
-component is compared in blocks of bounded size, where full sets are at hand and only links leave the
-block. Pairs inside one component are never looked at, so a group of near copies costs about a link a member. No group is gathered in one task, nothing but row counts reaches the driver.
+component is compared in blocks of bounded bytes, where full sets are at hand and only links leave the
+block. Pairs inside one component are never looked at, so a group of near copies costs about a link a member.
+A member's full set is shuffled to its head's, which is sent once: no join carries a head's set for each
+member. No group is gathered in one task, nothing but row counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from . import common as C
 BANDS, ROWS = 32, 5
 #: A link at similarity 0.8 falls below this agreement of 160 minima with probability under 2e-6.
 AGREE = 0.65
-#: Classes of a bucket that are compared as one block.
-BLOCK = 500
+#: Classes of a bucket whose signatures are compared as one block, and bytes of full sets in one block.
+BLOCK, BLOCK_BYTES = 500, 1 << 20
+#: Bytes of full sets in one batch.
+BATCH_BYTES = 4 << 20
 
 
 def shingle_set(words: list[bytes], k: int, cache: C.WordHash) -> np.ndarray:
@@ -79,20 +83,44 @@ def _sketches(k: int, bands: int, rows: int):
 
 
 def _sets(k: int):
+    """(node, shingles) from (node, text, digest): sorted 64-bit hashes, in batches of bounded bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = C.WordHash()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids, sets = [], []
-                for i, text, digest in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    s = shingle_set(_text_words(text), k, cache)
-                    if xxhash.xxh3_128_digest(s.tobytes()) == digest:
-                        ids.append(i)
-                        sets.append(s.view(np.int64))
-                if ids:
-                    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["id", "shingles"])
+            nodes, sets, size = [], [], 0
+            for i in range(batch.num_rows):
+                node, text, digest = (c[i].as_py() for c in batch.columns)
+                s = shingle_set(_text_words(text), k, cache).tobytes()
+                if xxhash.xxh3_128_digest(s) == digest:
+                    nodes.append(node), sets.append(s)
+                    size += len(s)
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+                    nodes, sets, size = [], [], 0
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    return run
+
+
+def shared(x: bytes, y: bytes) -> int:
+    """How many hashes two sorted sets have in common."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
+def _similar(percent: int):
+    """The links of rows (a, b, set_a, set_b) whose full sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                x, y = memoryview(x.as_buffer()), memoryview(y.as_buffer())
+                both = shared(x, y)
+                good.append(100 * both >= percent * ((len(x) + len(y)) // 8 - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
@@ -100,8 +128,8 @@ def _sets(k: int):
 def _agree(agree: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("sig_a").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-            y = np.frombuffer(b"".join(batch.column("sig_b").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+            x = np.frombuffer(b"".join(batch.column("set_a").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+            y = np.frombuffer(b"".join(batch.column("set_b").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= agree))
 
     return run
@@ -121,17 +149,18 @@ def _compared(row: dict, agree: float, rows: int) -> Iterator[tuple[int, np.ndar
 
 
 def _block_near(agree: float, rows: int):
-    """(key, rep) of the classes that have anything to be compared with in their bucket: at most one row a class of each block."""
+    """(key, node) of the classes that have anything to be compared with in their bucket: at most one row a class of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
                 keep: set[int] = set()
-                for i, at in _compared(row, agree, rows):
-                    keep.add(row["u"][i]["rep"])
-                    keep.update(row["m"][j]["rep"] for j in at)
+                for j, at in _compared(row, agree, rows):
+                    keep.add(row["u"][j]["node"])
+                    keep.update(row["m"][x]["node"] for x in at)
                 if keep:
-                    yield pa.RecordBatch.from_arrays([pa.array([row["key"]] * len(keep), pa.int64()), pa.array(keep, pa.int64())], ["key", "rep"])
+                    yield pa.RecordBatch.from_arrays([pa.array([row["key"]] * len(keep), pa.int64()), pa.array(keep, pa.int64())], ["key", "node"])
 
     return run
 
@@ -145,10 +174,11 @@ def _block_links(agree: float, percent: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for r in range(batch.num_rows):
+                row = {n: c[r].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
                 u, m = row["u"], row["m"]
-                mid, mc = (np.array([x[c] for x in m], np.int64) for c in ("rep", "component"))
-                sets = [np.array(x["shingles"], np.int64) for x in m]
+                mid, mc = (np.array([x[c] for x in m], np.int64) for c in ("node", "component"))
+                sets = [np.frombuffer(x["shingles"], np.uint64) for x in m]
                 sizes = np.array(list(map(len, sets)))
                 flat = np.concatenate(sets)
                 order = np.argsort(flat, kind="stable")
@@ -156,7 +186,7 @@ def _block_links(agree: float, percent: int, rows: int):
                 got = []
                 for i, at in _compared(row, agree, rows):
                     x = u[i]
-                    s = np.array(x["shingles"], np.int64)
+                    s = np.frombuffer(x["shingles"], np.uint64)
                     low, high = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
                     lens = high - low
                     places = np.repeat(low - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
@@ -164,7 +194,7 @@ def _block_links(agree: float, percent: int, rows: int):
                     linked = at[100 * both >= percent * (len(s) + sizes[at] - both)]
                     for c in np.unique(mc[linked], return_index=True)[1]:
                         other = int(mid[linked[c]])
-                        got.append((min(x["rep"], other), max(x["rep"], other)))
+                        got.append((min(x["node"], other), max(x["node"], other)))
                 if got:
                     a, b = zip(*got, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -200,32 +230,32 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _with(pairs: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:
-    for end in "ab":
-        pairs = pairs.join(rows.select(F.col(key).alias(end), F.col(value).alias(f"{value}_{end}")), end)
-    return pairs.select("a", "b", f"{value}_a", f"{value}_b")
+def _with(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
+    """Pairs with a value of each end. The member's (b, once or a few times in pairs) is moved to the head's (a, often many times), which is sent once."""
+    for end in "ba":
+        pairs = pairs.join(rows.select(F.col("node").alias(end), F.col(value).alias(f"set_{end}")), end)
+    return pairs.select("a", "b", "set_a", "set_b")
 
 
-def _sets_of(docs: DataFrame, heads: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """(id, shingles) of classes, made again from the whole texts of their first rows."""
-    ids = reps.distinct().join(heads.select("rep", "digest"), "rep").withColumnRenamed("rep", "doc_id")
-    wanted = docs.join(ids, "doc_id").select("doc_id", "text", "digest").distinct()
-    return C.written(wanted.mapInArrow(_sets(k), "id long, shingles array<long>"), "sets")
+def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of classes, made again from the whole texts of rows with their smallest ids."""
+    ids = nodes.distinct().join(classes.select("node", F.col("rep").alias("doc_id"), "digest"), "node")
+    wanted = docs.join(ids, "doc_id").select("node", "text", "digest").mapInArrow(C.lean(_sets(k)), "node long, shingles binary")
+    return C.written(wanted.dropDuplicates(["node"]), "sets")
 
 
-def _confirmed(docs: DataFrame, heads: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets, made again from whole texts, are similar enough."""
-    sets = _sets_of(docs, heads, pairs.select(F.explode(F.array("a", "b")).alias("rep")), k)
-    both = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
-    good = 100 * both >= percent * (F.size("shingles_a") + F.size("shingles_b") - both)
-    links = C.written(_with(pairs, sets, "id", "shingles").where(good).select("a", "b"), "links")
-    C.dropped(sets)
+def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose signatures agree and whose full shingle sets, made again from whole texts, are similar enough."""
+    close = C.written(_with(pairs, classes, "sig").mapInArrow(C.lean(_agree(AGREE)), "a long, b long"), "close")
+    sets = _sets_of(docs, classes, close.select(F.explode(F.array("a", "b")).alias("node")), k)
+    links = C.written(_with(close, sets, "shingles").mapInArrow(C.lean(_similar(percent)), "a long, b long"), "links")
+    C.dropped(sets), C.dropped(close)
     return links
 
 
 def _placed(members: DataFrame, place: DataFrame) -> DataFrame:
     """The members of buckets with their components so far."""
-    return C.written(members.join(place.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
+    return C.written(members.join(place, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
 
 
 def _merged(place: DataFrame, links: DataFrame) -> DataFrame:
@@ -236,7 +266,9 @@ def _merged(place: DataFrame, links: DataFrame) -> DataFrame:
     joined = connected_components(edges)
     moved = joined.select(F.col("node").alias("component"), F.col("component").alias("new"))
     old = place.join(moved, "component", "left").select("node", F.coalesce("new", "component").alias("component"))
-    return C.written(old.unionByName(joined.join(place, "node", "left_anti")), "merged")
+    out = C.written(old.unionByName(joined.join(place, "node", "left_anti")), "merged")
+    C.dropped(edges)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,44 +277,57 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles (A-Z
     lower-cased, words split at ASCII white space; a shorter text is one shingle). Null or wordless texts have
     the empty set and no link. A row whose id is null is linked with nothing: component_id null, kept true.
-    Rows that repeat an id are one node. Other columns are ignored; an empty table gives an empty result.
+    Rows that repeat an id are one node, whose texts each bring their own links. Other columns are ignored; an
+    empty table gives an empty result.
     """
     C.ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    t = C.written(docs.mapInArrow(_sketches(k, bands, rows), "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"), "sketch")
+    t = C.written(docs.mapInArrow(C.lean(_sketches(k, bands, rows)), "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"), "sketch")
     known = t.where("doc_id is not null and digest is not null")
-    classes = C.written(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    heads = C.written(known.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest"]).withColumnRenamed("doc_id", "rep"), "heads")
-    sigs = heads.select("rep", "sig").dropDuplicates(["rep"])
-    members = heads.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("key", "hub")
+    # a class is a set of shingles; its node is a number of its own, as classes may share their smallest id
+    sorted_out = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = C.written(sorted_out.withColumn("node", F.monotonically_increasing_id()), "classes")
+    members = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
     members = C.written(members.join(buckets, "key"), "members")
     # first one link a class: to the smallest class that heads one of its buckets
-    stars = members.where("rep != hub").groupBy("rep").agg(F.min("hub").alias("a")).select("a", F.col("rep").alias("b"))
+    stars = C.written(members.where("node != hub").groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b")), "stars")
     # rows that repeat an id with different texts tie their classes together
-    ids = known.join(classes, "digest").select("doc_id", "rep").distinct()
-    ties = ids.join(ids.groupBy("doc_id").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("doc_id", "head"), "doc_id").select(F.col("head").alias("a"), F.col("rep").alias("b"))
-    link = lambda pairs: _confirmed(docs, heads, C.written(_with(pairs, sigs, "rep", "sig").mapInArrow(_agree(AGREE), "a long, b long"), "close"), k, percent)
-    place = connected_components(C.written(link(stars).unionByName(ties), "links"))
+    mark = known.select("doc_id", F.xxhash64("digest").alias("x")).groupBy("doc_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    again = known.select("doc_id", "digest").join(mark.where("lo != hi").select("doc_id"), "doc_id").join(classes.select("digest", "node"), "digest")
+    ties = C.written(again.select("doc_id", "node").distinct(), "ties")
+    ties = ties.join(ties.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b"))
+    place = connected_components(_confirmed(docs, classes, stars, k, percent).unionByName(ties))
     placed = _placed(members, place)
     # then the other heads of its buckets, where they are still apart
-    heads_of = placed.where("rep = hub").select("key", "hub", F.col("component").alias("main"))
-    apart = placed.where("rep != hub").join(heads_of, ["key", "hub"]).where("component != main")
-    tried = C.written(apart.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "apart")
-    place = _merged(place, link(tried))
+    heads_of = placed.where("node = hub").select("key", F.col("component").alias("main"))
+    apart = placed.where("node != hub").join(heads_of, "key").where("component != main")
+    tried = C.written(apart.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "apart")
+    C.dropped(placed)
+    place = _merged(place, _confirmed(docs, classes, tried, k, percent))
     placed = _placed(members, place)
     # then what a bucket holds beside its head's component is compared in blocks
-    hubs = placed.where("rep = hub").select("key", F.col("component").alias("main")).distinct()
+    hubs = placed.where("node = hub").select("key", F.col("component").alias("main"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rows_ = C.written(placed.join(open_keys.join(hubs, "key"), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).select("key", "band", "block", "main", "rep", "component"), "blocks")
+    rows_ = C.written(placed.join(open_keys.join(hubs, "key"), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("key", "band", "block", "main", "node", "component"), "blocks")
+    C.dropped(placed)
     # signatures first: only classes that have something to be compared with bring their full sets
-    packed = lambda d, to, *cols: d.groupBy("key", "band", "block").agg(F.collect_list(F.struct("rep", "component", *cols)).alias(to)).drop("block")
+    packed = lambda d, to, *cols: d.groupBy("key", "band", "block").agg(F.collect_list(F.struct("node", "component", *cols)).alias(to)).drop("block")
     met = lambda d, *cols: packed(d.where("component != main"), "u", *cols).join(packed(d, "m", *cols).drop("band"), "key").select("key", "band", "u", "m")
-    keep = C.written(met(rows_.join(sigs, "rep"), "sig").mapInArrow(_block_near(AGREE, rows), "key long, rep long").distinct(), "keep")
-    full = _sets_of(docs, heads, keep.select("rep"), k).withColumnRenamed("id", "rep").join(sigs, "rep")
-    near = rows_.join(keep, ["key", "rep"]).join(full, "rep")
-    rest = C.written(met(near, "sig", "shingles").mapInArrow(_block_links(AGREE, percent, rows), "a long, b long").distinct(), "rest")
+    sigs = classes.select("node", "sig")
+    keep = C.written(met(rows_.join(sigs, "node"), "sig").mapInArrow(C.lean(_block_near(AGREE, rows)), "key long, node long").distinct(), "keep")
+    full = _sets_of(docs, classes, keep.select("node"), k)
+    near = rows_.drop("block").join(keep, ["key", "node"]).join(full.select("node", F.length("shingles").alias("size")), "node")
+    dealt = near.groupBy("key").agg(F.ceil(F.sum("size") / BLOCK_BYTES).alias("blocks"))
+    near = near.join(dealt, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(sigs, "node").join(full, "node")
+    rest = C.written(met(near, "sig", "shingles").mapInArrow(C.lean(_block_links(AGREE, percent, rows)), "a long, b long").distinct(), "rest")
     found = _merged(place, rest)
-    out = t.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    # a component's id is the smallest of its classes' smallest ids
+    of_class = C.written(found.join(classes.select("node", "rep", "digest"), "node"), "found")
+    least = C.written(of_class.groupBy("component").agg(F.min("rep").alias("least")), "least")
+    ids = C.written(of_class.join(least, "component").select("digest", "least"), "ids")
+    for x in (rows_, keep, full, rest, of_class, least, members, stars):
+        C.dropped(x)
+    out = t.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep").join(ids, "digest", "left"), "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
