@@ -227,11 +227,11 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     C.ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held"), F.col(text_col).cast("binary").alias("text"))
-    chunks = C.written(rows.mapInArrow(packed, "chunk long, ids array<long>, held array<boolean>, size long, texts binary"), "chunks")
+    chunks = C.written(rows.mapInArrow(C.lean(packed), "chunk long, ids array<long>, held array<boolean>, size long, texts binary"), "chunks")
     shards = math.ceil((chunks.agg(F.sum("size")).first()[0] or 1) / SHARD_BYTES)
-    asked = chunks.mapInArrow(_pairs(shards), "chunk long, shard long, pairs binary, n binary")
+    asked = chunks.mapInArrow(C.lean(_pairs(shards)), "chunk long, shard long, pairs binary, n binary")
     read = C.written(asked.groupBy("shard").applyInArrow(_shard, "chunk long, shard long, levels binary"), "levels")
-    words = C.written(chunks.mapInArrow(_vocabulary, "chunk long, word binary, n long"), "words")
+    words = C.written(chunks.mapInArrow(C.lean(_vocabulary), "chunk long, word binary, n long"), "words")
     counts = C.written(words.groupBy("word").agg(F.sum("n").alias("c")), "counts")
     n_all, n_words = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     known = words.join(counts, "word").select("chunk", "word", "c")

@@ -124,7 +124,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, x) of every row; a null text counts as the empty text."""
     C.ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(_statistics_of, "doc_id long, x array<double>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(C.lean(_statistics_of), "doc_id long, x array<double>")
 
 
 def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", shrink: float = SHRINK, train: Column | None = None) -> Discriminant | None:
@@ -134,7 +134,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", shrink:
     """
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").distinct()
     rows = stats.where(train if train is not None else F.lit(True)).join(y, "doc_id").select("x", "y")
-    got = rows.mapInArrow(_moments, "c long, i long, v double").groupBy("c", "i").agg(F.sum("v").alias("v")).collect()
+    got = rows.mapInArrow(C.lean(_moments), "c long, i long, v double").groupBy("c", "i").agg(F.sum("v").alias("v")).collect()
     total = np.zeros((2, 1 + N_STATS + N_STATS**2))
     for r in got:
         total[r.c, r.i] = r.v
@@ -154,7 +154,7 @@ def _scorer(model: Discriminant | None, ready: bool):
 
 def scores(stats: DataFrame, model: Discriminant | None) -> DataFrame:
     """(doc_id, score) of rows of document_statistics; 0.5 without a model."""
-    return stats.select(F.col("doc_id").alias("row"), "x").mapInArrow(_scorer(model, True), "row long, score double").withColumnRenamed("row", "doc_id")
+    return stats.select(F.col("doc_id").alias("row"), "x").mapInArrow(C.lean(_scorer(model, True)), "row long, score double").withColumnRenamed("row", "doc_id")
 
 
 def kept(docs: DataFrame, model: Discriminant | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -162,7 +162,7 @@ def kept(docs: DataFrame, model: Discriminant | None, threshold: float = THRESHO
     C.ship(docs.sparkSession)
     both = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[text_col].cast("binary").alias("text"))
     kind = both.schema["row"].dataType.simpleString()
-    out = both.mapInArrow(_scorer(model, False), f"row {kind}, score double")
+    out = both.mapInArrow(C.lean(_scorer(model, False)), f"row {kind}, score double")
     return out.where(F.col("score") >= threshold).select("row.*")
 
 

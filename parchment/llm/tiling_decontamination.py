@@ -183,7 +183,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     out = None
     for b in blocks(benchmark, least):
-        found = rows.mapInArrow(_leaks(spark.sparkContext.broadcast(b), coverage), kind)
+        found = rows.mapInArrow(C.lean(_leaks(spark.sparkContext.broadcast(b), coverage)), kind)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], kind)
 
@@ -194,5 +194,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
     C.ship(spark)
     at = docs.columns.index(text_col)
     for b in blocks(benchmark, least):
-        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(b), coverage, at), docs.schema)
+        docs = docs.mapInArrow(C.lean(_clean(spark.sparkContext.broadcast(b), coverage, at)), docs.schema)
     return docs
