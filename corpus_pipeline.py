@@ -38,9 +38,8 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, piece ids and their number, and whether they decode to the text."""
-    back = sentence_pieces.decoded(sentence_pieces.encoded(docs), text_col="decoded")
-    same = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
-    return back.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    out = sentence_pieces.encoded_and_checked(docs)
+    return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [("quality_qda", quality), ("minhash_dedup", dedup), ("tiling_decontamination", decontaminate), ("pii_rules", pii), ("sentence_pieces", pieces)]
