@@ -6,7 +6,7 @@ prefix; neighbouring windows share a seed, so a document sends one strand of tex
 prefix that occurs once holds no repeat and is dropped before any text is moved. A prefix under which more than
 `MOST` strands lie is lengthened, to the right or to the left but within the window, to 14 words; one that is
 still too common is lengthened to the whole window, which is then a node of its own: it needs no subtree, only its
-first leaf, a partial minimum.
+first leaf, a partial minimum. Equal strands are counted as one before they are cut into windows.
 
 A group of at most `MOST` strands fits in memory. Its suffixes are sorted word by word; their common prefix
 lengths give the internal nodes of the group's suffix tree at each depth, and a second tree over the words before
@@ -37,7 +37,7 @@ from . import common as C
 
 WINDOW, SEED = 20, 8
 #: Most strands under one prefix that are put into one subtree, and strands worked on at a time.
-MOST, CHUNK = 4096, 32_768
+MOST, CHUNK = 2048, 32_768
 FIRST = -(2**63)
 
 
@@ -286,14 +286,21 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, texts_too: bool = False,
     common = C.written(found.where("longer").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("key"), "common")
     later = found.join(common, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(C.lean(_subtrees(window)), "uid long, place int, later long")
     later = C.written(later, "later")
-    windows = C.written(found.where("longer").join(common, "key", "left_semi").mapInArrow(C.lean(_windows(window)), "a long, b long, doc_id long, uid long, start int"), "windows")
-    C.dropped(found), C.dropped(common)
+    hot = found.where("longer").join(common, "key", "left_semi").select("words", (F.col("place") - F.col("first")).alias("left"), "n", "doc_id", "uid", "first", "place")
+    # of equal strands the first alone is cut into windows; all windows of the others are repeats
+    same = ["words", "left", "n"]
+    heads = C.written(hot.groupBy(*same).agg(F.min(F.struct("doc_id", "uid", "first")).alias("p")).select(*same, "p.*"), "heads")
+    again = hot.join(heads.select(*same, F.col("uid").alias("of"), F.col("first").alias("at")), same).where("uid != of or first != at")
+    again = C.written(again.select("uid", "place", F.expr("shiftleft(shiftleft(1L, n) - 1, left - n + 1)").alias("later")), "again")
+    windows = C.written(heads.mapInArrow(C.lean(_windows(window)), "a long, b long, doc_id long, uid long, start int"), "windows")
+    for x in (found, common, heads):
+        C.dropped(x)
     nodes = windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "uid", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     nodes = C.written(nodes.select("a", "b", F.col("first.uid").alias("first_uid"), F.col("first.start").alias("first_start")), "nodes")
     others = windows.join(nodes, ["a", "b"]).where("uid != first_uid or start != first_start").select("uid", F.col("start").alias("place"), F.lit(1).cast("long").alias("later"))
     # a list for each document, in its order
-    by_doc = C.written(later.unionByName(others).groupBy("uid").agg(F.collect_list("place").alias("places"), F.collect_list("later").alias("later")), "by_doc")
-    for x in (later, windows, nodes):
+    by_doc = C.written(later.unionByName(again).unionByName(others).groupBy("uid").agg(F.collect_list("place").alias("places"), F.collect_list("later").alias("later")), "by_doc")
+    for x in (later, again, windows, nodes):
         C.dropped(x)
     cut = t.select("uid", "text").join(by_doc, "uid").mapInArrow(C.lean(_cut(window, texts_too)), "uid long, n_removed long, kept_sha256 string, kept_text string")
     cut = C.written(cut, "cut")
