@@ -260,6 +260,8 @@ def _placed(members: DataFrame, place: DataFrame) -> DataFrame:
 
 def _merged(place: DataFrame, links: DataFrame) -> DataFrame:
     """Components after further links: only the components that the links join are worked on."""
+    if links.isEmpty():
+        return place
     of = lambda end: place.select(F.col("node").alias(end), F.col("component").alias(f"{end}_is"))
     ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
     edges = C.written(ends.select(F.coalesce("a_is", "a").alias("a"), F.coalesce("b_is", "b").alias("b")), "joined")
