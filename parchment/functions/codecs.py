@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 
@@ -28,16 +30,27 @@ def flate_decode(data: bytes) -> bytes:
             return out
         except zlib.error:
             d, parts = zlib.decompressobj(bits), []
-            try:
-                for i in range(0, len(data), 64):
+            for i in range(0, len(data), 64):
+                before = d.copy()
+                try:
                     parts.append(d.decompress(data[i : i + 64]))
-            except zlib.error:
-                pass
+                except zlib.error:
+                    parts += _byte_by_byte(before, data[i : i + 64])
+                    break
             if out := b"".join(parts):
                 return out
     raise FilterError("no deflate data")
 
 
+def _byte_by_byte(d: Any, data: bytes) -> Iterator[bytes]:
+    """What a decompressor still gives before the byte at which it fails."""
+    for k in range(len(data)):
+        try:
+            yield d.decompress(data[k : k + 1])
+        except zlib.error:
+            return
+
+
 def lzw_decode(data: bytes, early: int = 1) -> bytes:
     """Codes of 9 to 12 bits, most significant first; 256 clears, 257 ends."""
     out, table = bytearray(), [bytes([i]) for i in range(256)] + [b"", b""]

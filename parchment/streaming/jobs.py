@@ -19,9 +19,10 @@ STATUS = "job_id string, status string, done int, failed int, created timestamp,
 
 
 def arrivals(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of new files in a landing folder: (doc_id, content, created); larger ones than a job may be are left out."""
+    """A stream of new files in a landing folder: (doc_id, content, created, refused); one larger than a job may be has no content and a reason."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.pdf").load(folder)
-    return files.where(F.col("length") <= MOST_BYTES).select(F.col("path").alias("doc_id"), "content", F.col("modificationTime").alias("created"))
+    fits = F.col("length") <= MOST_BYTES
+    return files.select(F.col("path").alias("doc_id"), F.when(fits, F.col("content")).alias("content"), F.col("modificationTime").alias("created"), F.when(~fits, f"413: a file may have {MOST_BYTES} bytes").alias("refused"))
 
 
 def page_results(files: DataFrame, dpi: float = 150.0) -> DataFrame:

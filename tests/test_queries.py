@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from parchment.plans import documents, registry, relational  # noqa: F401
+from parchment.plans import documents, registry, relational, vectors  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
