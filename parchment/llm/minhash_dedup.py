@@ -290,7 +290,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     sorted_out = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = C.written(sorted_out.withColumn("node", F.monotonically_increasing_id()), "classes")
     members = classes.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
+    # counts are tables of their own before they are joined, so that rows of a common key can be split
+    buckets = C.written(members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub"), "buckets")
     members = C.written(members.join(buckets, "key"), "members")
     # first one link a class: to the smallest class that heads one of its buckets
     stars = C.written(members.where("node != hub").groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b")), "stars")
@@ -310,8 +311,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     placed = _placed(members, place)
     # then what a bucket holds beside its head's component is compared in blocks
     hubs = placed.where("node = hub").select("key", F.col("component").alias("main"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rows_ = C.written(placed.join(open_keys.join(hubs, "key"), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("key", "band", "block", "main", "node", "component"), "blocks")
+    found = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    open_keys = C.written(found.join(hubs, "key"), "open_keys")
+    rows_ = C.written(placed.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("key", "band", "block", "main", "node", "component"), "blocks")
     C.dropped(placed)
     # signatures first: only classes that have something to be compared with bring their full sets
     packed = lambda d, to, *cols: d.groupBy("key", "band", "block").agg(F.collect_list(F.struct("node", "component", *cols)).alias(to)).drop("block")
@@ -328,7 +330,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     of_class = C.written(found.join(classes.select("node", "rep", "digest"), "node"), "found")
     least = C.written(of_class.groupBy("component").agg(F.min("rep").alias("least")), "least")
     ids = C.written(of_class.join(least, "component").select("digest", "least"), "ids")
-    for x in (rows_, keep, full, rest, of_class, least, members, stars):
+    for x in (rows_, keep, full, rest, of_class, least, members, stars, buckets, open_keys):
         C.dropped(x)
     out = t.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep").join(ids, "digest", "left"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "rep", "doc_id"))
